@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, token_counts, token_store
+from . import chat, decontaminate, mixing, pii, quality, simhash, token_counts, token_store, toxicity
 from .common import table
 
 
@@ -15,14 +15,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "op1_decontaminate": lambda s, d: decontaminate.query(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op2_pii": lambda s, d: pii.query(table(s, d, "documents")),
         "op3_token_counts": lambda s, d: token_counts.query(table(s, d, "documents")),
         "op4_quality_rules": lambda s, d: quality.query(table(s, d, "documents")),
         "op5_simhash_dedup": lambda s, d: simhash.query(table(s, d, "documents")),
+        "op6_chat_trees": lambda s, d: chat.query(table(s, d, "conversations")),
         "op7_mix_sources": lambda s, d: mixing.query(table(s, d, "documents")),
+        "op8_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
         "op10_token_store": lambda s, d: token_store.query(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_trees": chat.ORACLE}
