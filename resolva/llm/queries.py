@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, pii, quality, simhash, token_counts, token_store, toxicity
+from . import chat, decontaminate, line_dedup, mixing, pii, quality, simhash, token_counts, token_store, toxicity
 from .common import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_trees": lambda s, d: chat.query(table(s, d, "conversations")),
         "op7_mix_sources": lambda s, d: mixing.query(table(s, d, "documents")),
         "op8_toxicity": lambda s, d: toxicity.query(table(s, d, "documents"), table(s, d, "labels")),
+        "op9_line_dedup": lambda s, d: line_dedup.query(table(s, d, "documents")),
         "op10_token_store": lambda s, d: token_store.query(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
