@@ -42,18 +42,20 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     spark = messages.sparkSession
     start = messages.select("tree", "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length"))
     level, path = stage(start, "chat-0")
-    levels = [(level, path)]
-    n = messages.count()
-    while level.where("up is not null").limit(1).count():
-        above = level.select(F.col("node").alias("n"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("length").alias("steps"))
-        # a parent that is not there ends the walk without a root
-        joined = level.join(above, level["up"] == above["n"], "left").where("up is null or n is not null")
-        joined = joined.select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("steps", F.lit(0))).alias("length"))
+    levels, paths_ = [level.where("up is not null")], [path]
+    rooted, n = level.where("up is null"), level.count()
+    while levels[-1].limit(1).count():
+        # those that have reached their root only serve as steps for the others; a parent that is not there ends the walk without a root
+        above = levels[-1].unionByName(rooted).select(F.col("node").alias("n"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("length").alias("steps"))
+        joined = levels[-1].join(above, F.col("up") == F.col("n"))
+        joined = joined.select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("steps")).alias("length"))
         level, path = stage(joined, f"chat-{len(levels)}")
-        levels.append((level, path))
+        levels.append(level.where("up is not null"))
+        paths_.append(path)
+        rooted = rooted.unionByName(level.where("up is null"))
         if 1 << (len(levels) - 2) > n:  # longer than any path: what still climbs goes in a circle
             break
-    rooted = level.where("up is null").select("tree", "node", "total", "length")
+    rooted = rooted.select("tree", "node", "total", "length")
     inner = messages.where("parent is not null").select(F.col("parent").alias("p")).distinct()
     leaves = rooted.join(inner, rooted["node"] == inner["p"], "left_anti").withColumn("mean", F.col("total") / F.col("length"))
     order = Window.partitionBy("tree").orderBy(F.col("mean").desc(), F.col("length").desc(), "node")
@@ -63,14 +65,14 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     walk = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", "length")  # length: messages from here up to the root
     # walk holds, for each path, ends of stretches; each round splits a stretch of over 2 ** k messages into two
     for k in range(len(levels) - 1, -1, -1):
-        jump = levels[k][0].select(F.col("node").alias("n"), F.col("up").alias("to"))
+        jump = levels[k].select(F.col("node").alias("n"), F.col("up").alias("to"))
         span = 1 << k
         spans = walk.withColumn("stretch", F.col("length")) if "stretch" not in walk.columns else walk
         far = spans.where(F.col("stretch") > span).join(jump, F.col("node") == F.col("n"))
         lower = far.select("tree", "leaf", "rank", "node", "length", F.lit(span).cast("long").alias("stretch"))
         upper = far.select("tree", "leaf", "rank", F.col("to").alias("node"), (F.col("length") - span).alias("length"), (F.col("stretch") - span).alias("stretch"))
         walk, path = stage(spans.where(F.col("stretch") <= span).unionByName(lower).unionByName(upper), "chat-walk")
-    for _, path in levels:
+    for path in paths_:
         drop(spark, path)
     return walk.select("tree", "leaf", "rank", "node", (F.col("length") - 1).alias("depth"))
 
