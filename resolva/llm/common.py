@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,12 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: executors delete them when the driver's references are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, want: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     have = {c.lower() for c in df.columns}
