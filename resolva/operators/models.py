@@ -121,6 +121,35 @@ def best_alpha(df: DataFrame, label: str, one: str, two: str) -> float:
     return metrics.blend_losses(df, label, one, two).orderBy("loss", "alpha").first().alpha
 
 
+def alpha_by_f05(df: DataFrame, one: str, two: str, entities: DataFrame, truth: DataFrame, threshold: float = 0.6, steps: int = 20) -> float:
+    """The weight of ``one`` with the greatest macro F0.5 of pairs at ``threshold`` or above; one aggregate for all weights."""
+    weights = df.sparkSession.createDataFrame([(k / steps,) for k in range(steps + 1)], "alpha double")
+    hits = df.select("sid", "tid", one, two).join(truth.select("sid", "tid", F.lit(1).alias("hit")), ["sid", "tid"], "left").join(F.broadcast(weights))
+    taken = hits.where(F.col("alpha") * F.col(one) + (1 - F.col("alpha")) * F.col(two) >= threshold).groupBy("alpha", "sid").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
+    per = entities.select("sid").join(truth.groupBy("sid").agg(F.count("*").alias("n_true")), "sid", "left").join(F.broadcast(weights)).join(taken, ["alpha", "sid"], "left").fillna(0, ["n_true", "n_pred", "tp"])
+    value = F.when(F.col("n_true") == 0, F.when(F.col("n_pred") == 0, 1.0).otherwise(0.0)).otherwise(metrics.f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true")))
+    return per.groupBy("alpha").agg(F.avg(value).alias("f05")).orderBy(F.col("f05").desc(), "alpha").first().alpha
+
+
+def learned_gate(per_entity: DataFrame, features: list[str], label: str, k: int = 5) -> DataFrame:
+    """``per_entity`` (sid, features, label: 1 if the entity has a match) -> with score, out of fold: abstain where it is low."""
+    from .splits import fold
+
+    return out_of_fold(per_entity.withColumn("fold", fold(F.col("sid"), k)), features, label, k)
+
+
+def cross_validated(df: DataFrame, target: str, k: int, make, predict) -> tuple[DataFrame, list]:
+    """``df`` with fold -> (out-of-fold rows with prediction, the fold models). ``make(train)`` fits, ``predict(model, test)`` adds prediction."""
+    fitted, parts = [], []
+    for i in range(k):
+        fitted.append(make(df.where(F.col("fold") != i)))
+        parts.append(predict(fitted[-1], df.where(F.col("fold") == i)).select("fold", target, "prediction"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, fitted
+
+
 def blend(columns: list[str], how: str = "mean", weights: list[float] | None = None) -> Column:
     values = F.array(*[F.col(c).cast("double") for c in columns])
     if how == "median":
