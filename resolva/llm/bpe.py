@@ -51,7 +51,7 @@ class Encoder:
         if any(c.isspace() for s in special for c in s):
             raise ValueError("a special string with white space inside")
         self.between, self.between_id = next(iter(special.items()), (None, -1))
-        self.special = re.compile(b"|".join(re.escape(s[:2].encode()) for s in special) or rb"(?!)", re.I)
+        self.prefixes = {s[:2].encode().lower() for s in special}
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
@@ -60,8 +60,15 @@ class Encoder:
         self.value = value
         self.table: dict[bytes, object] = {}
 
+    def may_be_special(self, text: bytes) -> bool:
+        low = text.lower()
+        return any(p in low for p in self.prefixes)
+
     def words(self, text: bytes) -> list[bytes]:
-        return (text if HIGH.search(text) or self.special.search(text) else text.lower()).split()
+        low = text.lower()
+        if any(p in low for p in self.prefixes) or (not text.isascii() and HIGH.search(text)):
+            return text.split()
+        return low.split()
 
     def encoded(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word. Words of letters only are one piece each, and its last id, no other, ends a word."""
@@ -70,7 +77,7 @@ class Encoder:
         for w in words:
             if self.ends is not None and not HIGH.search(w) and w.decode().lower().isalpha():
                 letters.append(w)
-            elif self.between and not self.special.search(w):
+            elif self.between and not self.may_be_special(w):
                 plain.append(w)
         for some, glue in [(x[i : i + TOGETHER], g) for x, g in ((letters, " "), (plain, self.between)) for i in range(0, len(x), TOGETHER)]:
             flat = np.array(self.library.encode(glue.join(w.decode() for w in some), add_special_tokens=False).ids, np.int64)
