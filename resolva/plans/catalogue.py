@@ -11,6 +11,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import blocking, catalog, decide, features, metrics, mining, models, retrieval, splits, validate
 from ..sources import tables
+from ..sources.staging import stage
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,7 +348,7 @@ for _name, _cols in (("q30_name_features", _NAME_SQL), ("q31_addr_features", _AD
 def _(spark, sf):
     """All 96 columns over retrieved pairs, provenance included."""
     s, t = X.sides(spark, sf)
-    found = retrieval.budget_cut(retrieval.provenance(retrieval.hits(s, t)), s).drop("place").persist()
+    found = stage(retrieval.budget_cut(retrieval.provenance(retrieval.hits(s, t)), s).drop("place"), "retrieved")
     return features.feature_matrix(found, s, t).select("sid", "tid", *[r6(c).alias(c) for c in features.ALL])
 
 
@@ -631,7 +632,7 @@ def _pair_table(spark, sf) -> DataFrame:
 
 @query("q62_gbt_oof")
 def _(spark, sf):
-    pairs = _pair_table(spark, sf)
+    pairs = stage(_pair_table(spark, sf), "pair-table")  # read by every fold and learner
     scored = models.out_of_fold(pairs, ["name_seq", "name_jaccard", "addr_seq", "addr_jaccard", "house", "postal", "name_jw", "x_product"], "label", 3)
     return scored.select("sid", "tid", "label", r6("score").alias("score"))
 

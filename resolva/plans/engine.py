@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import decide, features, metrics, mining, models, retrieval, splits, views
 from ..sources import tables
+from ..sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -47,18 +48,19 @@ class Engine:
         self.choices: dict = {}
 
     def candidates(self, entities: DataFrame, targets: DataFrame) -> DataFrame:
-        """Retrieved pairs within budget, with provenance, kept for the three readers of the features."""
-        rolled = retrieval.provenance(retrieval.hits(entities, targets, self.config.bm25))
-        return retrieval.budget_cut(rolled, entities).drop("place").persist()
+        """Retrieved pairs within budget, with provenance, written once for the three readers of the features."""
+        rolled = retrieval.provenance(stage(retrieval.hits(entities, targets, self.config.bm25), "hits"))
+        return stage(retrieval.budget_cut(rolled, entities).drop("place"), "candidates")
 
     def described(self, entities: DataFrame, targets: DataFrame) -> DataFrame:
-        return features.feature_matrix(self.candidates(entities, targets), entities, targets)
+        return stage(features.feature_matrix(self.candidates(entities, targets), entities, targets), "features")
 
     def fit(self, entities: DataFrame, targets: DataFrame, truth: DataFrame) -> DataFrame:
         """``entities`` and ``targets`` with views, ``truth`` (sid, tid) -> the report: metrics of out-of-fold decisions."""
         c, names = self.config, list(self.config.features)
         label = truth.select("sid", "tid").distinct().withColumn("label", F.lit(1.0))
-        table = self.described(entities, targets).join(label, ["sid", "tid"], "left").fillna(0.0, ["label"]).withColumn("fold", splits.fold(F.col("sid"), c.folds, c.seed)).persist()
+        table = self.described(entities, targets).join(label, ["sid", "tid"], "left").fillna(0.0, ["label"]).withColumn("fold", splits.fold(F.col("sid"), c.folds, c.seed))
+        table = stage(table, "training")
         parts = []
         for k in range(c.folds):
             train, test = self.training(table.where(F.col("fold") != k), entities, targets, truth), table.where(F.col("fold") == k)
@@ -67,11 +69,11 @@ class Engine:
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
-        oof = oof.persist()
+        oof = stage(oof, "out-of-fold")
         alpha = models.best_alpha(oof, "label", "p1", "p2")
         blended = oof.withColumn("score", models.blend(["p1", "p2"], weights=[alpha, 1 - alpha]))
         self.calibrator = models.Calibrator(c.calibration).fit(blended, "score", "label")
-        scored = self.calibrator.apply(blended, "score").select("sid", "tid", "score").persist()
+        scored = stage(self.calibrator.apply(blended, "score").select("sid", "tid", "score"), "scored")
         ids = entities.select("id")
         grid = decide.policy_grid(scored, truth, ids, list(c.match_grid), list(c.singleton_grid), list(c.margin_grid)).orderBy(F.col("f05").desc(), "point").first()
         policy = decide.Policy(grid.match, grid.singleton, grid.margin)
@@ -97,13 +99,14 @@ class Engine:
             return table
         found = mining.classify(features.with_sides(table.select("sid", "tid", "by_bm25_name", "by_bm25_addr", "by_reverse"), entities, targets), truth=truth)
         mined = mining.mine(found, table.where("label = 1").count(), self.config.negatives_per_positive, self.config.seed).select("sid", "tid")
-        return table.where("label = 1").unionByName(table.join(mined, ["sid", "tid"], "left_semi"))
+        return stage(table.where("label = 1").unionByName(table.join(mined, ["sid", "tid"], "left_semi")), "mined")
 
     def match(self, entities: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(candidates, accepted pairs) of new records; constraints hold over all pairs at once."""
         described = self.described(entities, targets)
         scored = self.two.score(self.one.score(described, "p1"), "p2").withColumn("score", models.blend(["p1", "p2"], weights=[self.choices["alpha"], 1 - self.choices["alpha"]]))
-        scored = self.calibrator.apply(scored.select("sid", "tid", "score"), "score").select("sid", "tid", "score").persist()
+        scored = self.calibrator.apply(scored.select("sid", "tid", "score"), "score").select("sid", "tid", "score")
+        scored = stage(scored, "scored")
         accepted = decide.expected_f05(scored) if self.choices["decoder"] == "expected_f05" else decide.precision_policy(scored, decide.Policy(**self.choices["policy"]))
         if self.config.source_partition:
             accepted = decide.source_partition(accepted)
@@ -141,5 +144,5 @@ class Engine:
 
 
 def prepared(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of all sources -> (S1, targets) with views, kept."""
-    return views.split_sides(views.with_views(records).persist())
+    """Records of all sources -> (S1, targets) with views, written once."""
+    return views.split_sides(stage(views.with_views(records), "views"))

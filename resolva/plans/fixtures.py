@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import similarity as S
 from ..operators import views as V
+from ..sources.staging import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept (memory, then disk): every channel of a query reads them, and the folding UDF should run once per record."""
-    return V.with_views(entity_view(spark, sf_dir)).persist()
+    """Written once: every channel of a query reads them, and the folding UDF should run once per record."""
+    return kept(spark, sf_dir, "views", lambda: V.with_views(entity_view(spark, sf_dir)))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -45,20 +46,28 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sid, tid): records of one country whose names share their first two tokens, in buckets of 150 targets or fewer."""
+    return kept(spark, sf_dir, "name-pairs", lambda: _name_pairs(spark, sf_dir))
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = sides(spark, sf_dir)
     t = t.where("n_first_two <> ''").select(F.col("id").alias("tid"), "country", "n_first_two")
     good = t.groupBy("country", "n_first_two").agg(F.count("*").alias("n")).where("n <= 150").drop("n")
-    return s.select(F.col("id").alias("sid"), "country", "n_first_two").join(t.join(good, ["country", "n_first_two"]), ["country", "n_first_two"]).select("sid", "tid").persist()
+    return s.select(F.col("id").alias("sid"), "country", "n_first_two").join(t.join(good, ["country", "n_first_two"]), ["country", "n_first_two"]).select("sid", "tid")
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sid, tid, score, jaccard, number, addr): name_pairs with a fixed score in place of a model's, exact to 6 places."""
+    return kept(spark, sf_dir, "scored-pairs", lambda: _scored_pairs(spark, sf_dir))
+
+
+def _scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = sides(spark, sf_dir)
     cut = lambda df, p: df.select(F.col("id").alias(p + "id"), *[F.col(c).alias(f"{p}_{c}") for c in ("n_clean", "a_clean", "n_tokens", "a_num")])
     both = name_pairs(spark, sf_dir).join(cut(s, "s"), "sid").join(cut(t, "t"), "tid")
     name, addr = S.levenshtein_ratio(F.col("s_n_clean"), F.col("t_n_clean")), S.levenshtein_ratio(F.col("s_a_clean"), F.col("t_a_clean"))
     number = F.when((F.col("s_a_num") != "") & (F.col("s_a_num") == F.col("t_a_num")), 1.0).otherwise(0.0)
-    return both.select("sid", "tid", F.round(0.5 * name + 0.5 * addr, 6).alias("score"), F.round(S.jaccard(F.col("s_n_tokens"), F.col("t_n_tokens")), 6).alias("jaccard"), number.alias("number"), F.round(addr, 6).alias("addr")).persist()
+    return both.select("sid", "tid", F.round(0.5 * name + 0.5 * addr, 6).alias("score"), F.round(S.jaccard(F.col("s_n_tokens"), F.col("t_n_tokens")), 6).alias("jaccard"), number.alias("number"), F.round(addr, 6).alias("addr"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
