@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import slices
 
@@ -27,6 +29,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: came first is what is frequent.
 TABLE_MAX = 1 << 20
 TOGETHER = 512
+#: Texts whose words are told apart at once.
+TOGETHER_BYTES = 8 << 20
 STOPS = b".,;:!?"
 HIGH = re.compile(rb"[\xc6-\xff]")
 
@@ -64,11 +68,15 @@ class Encoder:
         low = text.lower()
         return any(p in low for p in self.prefixes)
 
-    def words(self, text: bytes) -> list[bytes]:
+    def folded(self, text: bytes) -> bytes:
+        """The text as its words are looked up: in lower case where that is safe."""
         low = text.lower()
         if any(p in low for p in self.prefixes) or (not text.isascii() and HIGH.search(text)):
-            return text.split()
-        return low.split()
+            return text
+        return low
+
+    def words(self, text: bytes) -> list[bytes]:
+        return self.folded(text).split()
 
     def encoded(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word. Words of letters only are one piece each, and its last id, no other, ends a word."""
@@ -95,29 +103,42 @@ class Encoder:
                 out[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, self.kind)
         return [out[w] for w in words]
 
-    def values(self, texts: list[bytes]) -> Iterator[list]:
-        """For each text the values of its words, in order."""
-        lists = [self.words(b) for b in texts]
-        new = set().union(*lists).difference(self.table)
-        if new:
-            # stops after a letter or figure are a piece of their own: such a word is the sum of its two parts
-            split = {w: core for w in new if (core := w.rstrip(STOPS)) and len(core) < len(w) and core[-1:].isalnum()}
-            whole = new.difference(split).union(split.values(), (w[len(c) :] for w, c in split.items())).difference(self.table)
-            if len(self.table) + len(whole) + len(split) > TABLE_MAX:
-                self.table = dict(list(self.table.items())[: TABLE_MAX // 2])
-                whole |= set().union(*lists).difference(self.table, split)
-                whole |= {p for w, c in split.items() for p in (c, w[len(c) :])}.difference(self.table)
-            order = list(whole)
-            self.table.update(zip(order, map(self.value, self.encoded(order))))
-            table = self.table
-            table.update((w, table[c] + table[w[len(c) :]]) for w, c in split.items())
-        get = self.table.__getitem__
-        for words in lists:
-            yield list(map(get, words))
+    def learn(self, new: set[bytes], needed: list[bytes]) -> None:
+        """Puts words into the table. A full one first forgets all but its first half and what is needed now."""
+        if len(self.table) + 2 * len(new) > TABLE_MAX:
+            old = self.table
+            self.table = dict(list(old.items())[: TABLE_MAX // 2])
+            self.table.update((w, old[w]) for w in needed if w in old)
+        table = self.table
+        # stops after a letter or figure are a piece of their own: such a word is the sum of its two parts
+        split = {w: core for w in new if (core := w.rstrip(STOPS)) and len(core) < len(w) and core[-1:].isalnum()}
+        order = list((new.difference(split) | {p for w, core in split.items() for p in (core, w[len(core) :])}).difference(table))
+        table.update(zip(order, map(self.value, self.encoded(order))))
+        table.update((w, table[c] + table[w[len(c) :]]) for w, c in split.items())
+
+    def coded(self, texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
+        """The values of the different words; for all words in order, the place of each one's value; the texts' first places.
+        A word is looked up once for each slice of texts, not once for each time it stands there."""
+        words = pc.ascii_split_whitespace(pa.array(map(self.folded, texts), pa.large_string()))
+        known = words.flatten().dictionary_encode()
+        different = known.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.table.get, different))
+        if None in values:
+            self.learn({w for w, v in zip(different, values) if v is None}, different)
+            values = list(map(self.table.__getitem__, different))
+        return values, known.indices.to_numpy(), words.offsets.to_numpy()
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """For encoders that keep the bytes of the ids."""
-        return [np.frombuffer(b"".join(v), self.kind) for a, b in slices(texts) for v in self.values(texts[a:b])]
+        out: list[np.ndarray] = []
+        for a, b in slices(texts, TOGETHER_BYTES):
+            values, places, firsts = self.coded(texts[a:b])
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+            flat, begins, n = np.frombuffer(b"".join(values), self.kind), np.cumsum(sizes) - sizes, sizes[places]
+            ends = np.r_[0, np.cumsum(n)]
+            ids = flat[np.repeat(begins[places] - ends[:-1], n) + np.arange(ends[-1])]
+            out += np.split(ids, ends[firsts[1:-1]]) if b > a else []
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

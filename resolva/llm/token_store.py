@@ -7,7 +7,8 @@ blocks. Segments are rows (shard, seq, n_docs, n_tokens, doc_ids, lengths, paylo
 them, so a lost executor leaves no half file, and any store that Spark writes to will do. ``read`` needs those files only.
 
 A null text is empty: its ids are the end id alone. A document longer than a segment makes a larger one; memory in a task is
-bounded by the longest document or one segment. Repeated rows are written each. An empty table makes an empty store.
+bounded by the longest document or one segment. Repeated rows are written each. An empty table makes an empty store. Columns
+other than doc_id and text are not read, whatever their names. The tokenizer's file is found by each worker for itself.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import rans
-from .bpe import encoder, tokenizer_path
+from .bpe import TOGETHER_BYTES, encoder, tokenizer_path
 from .common import new_path, slices, text_bytes
 
 END = 1
@@ -32,10 +33,8 @@ ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, segment: int = SEGMENT) -> None:
-    tokenizer = tokenizer or tokenizer_path()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, shard, seq = encoder(tokenizer or tokenizer_path()), TaskContext.get().partitionId(), 0
         ids, doc_ids, total = [], [], 0
 
         def packed() -> pa.RecordBatch:
@@ -44,7 +43,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, z in slices(texts):
+            for a, z in slices(texts, TOGETHER_BYTES):
                 for doc_id, own in zip(names[a:z], coder.ids(texts[a:z])):
                     ids.append(np.append(own, own.dtype.type(end)))
                     doc_ids.append(doc_id)
@@ -55,8 +54,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         if ids:
             yield packed()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    rows.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, STORE).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    # by the hash, too: null and repeated ids need not be one task's
+    rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text").mapInArrow(run, STORE).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
