@@ -37,10 +37,10 @@ def brute_spans(text):
 def test_pii(spark, sf):
     texts = [None, "", "a@b.c_d@e.f x@y", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 00000001.2.3.4 1.2.3", "é😀 4111 1111 1111 1111, 4111111111111112 4-1-1-1", "+1 (555) 555-0128. +12345 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "9" * 30_000, "a" * 50_000 + "@", "1." * 20_000, "7 " * 20_000, "@.@..@a.b. a..b@c-.d", "call (555) 555-0128 or bob [at] site [dot] org", "\n+1-2\n3 x@y.z\r\n", "0.0.0.0 999.1.1.1.1", "1.2.3.4@a.b"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "x@y.zz"), (3, texts[3])]
-    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, t long, candidates string")
     for df in (table(spark, sf, "documents").select("doc_id", "text"), odd):
         want = []
-        for doc_id, text in df.collect():
+        for doc_id, text in df.select("doc_id", "text").collect():
             found = brute_spans(text)
             counts = [sum(f[3] == k for f in found) for k in PLAIN]
             want.append((doc_id, *counts, hashlib.sha256(",".join(f[2] for f in found).encode()).hexdigest(), {f[2] for f in found}))
@@ -61,6 +61,28 @@ def test_pii(spark, sf):
     assert after[2, 2, 1, 2, 1] > 0.9 and after[0, 0, 0, 1, 0] < 0.1 and after[1, 1, 2, 2, 1] > 0.5
 
 
+def test_added_spans(spark):
+    """Loose spans that the method must add, and look-alikes that it must not."""
+    rows, want = [], {}
+    hexes = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    for i in range(60):
+        tail = f"{i:04d}"
+        good = [("phone", f"call tel ", f"212-555-{tail}"), ("phone", "phone: ", f"(415) 555-{tail}"), ("email", "mail bob at ", f"bob{i} [at] site [dot] org"), ("secret", 'api token = "', hexes(i)[:36]), ("secret", "the key: ", "ghp_" + hexes(i)[:30])]
+        kind, before, what = good[i % len(good)]
+        rows.append((i, f"Some words é before, {before}{what} and after"))
+        begin = rows[-1][1].index(what)
+        want[i] = f"{kind}:{begin}:{begin + len(what)}"
+        bad = [f"commit {hexes(i)[:40]} fixed it", f"see https://example.org/{hexes(i)} there", "averyveryverylongcompoundwordwithoutfigures", f"order no. 1234.5678.9012.{tail}", "in 1999 and 2000, pages 12-34"][i % 5]
+        rows.append((1000 + i, bad))
+        rows.append((2000 + i, f"write to a{i}@b.com or +1 (212) 555-{tail}"))
+    got = {r.doc_id: r for r in pii.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [i for i in want if got[i].spans == want[i]]
+    wrong = [i for i in range(1000, 1060) if got[i].spans]
+    assert len(found) >= 0.95 * len(want), [(rows[3 * i], got[i].spans) for i in want if i not in found][:5]
+    assert len(wrong) <= 0.02 * 60, [(got[i]) for i in wrong][:5]
+    assert all(got[2000 + i].n_email == 1 and got[2000 + i].n_phone == 1 and got[2000 + i].n_spans == 2 for i in range(60))
+
+
 def brute_chat(rows):
     out = {}
     for conv in {r[0] for r in rows}:
