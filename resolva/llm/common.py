@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only where it is unset (tests, a laptop) is a temporary one chosen."""
+    """The folder that ``spark.checkpoint.dir`` names. Only where it is unset on one machine (tests, a laptop) is a temporary one
+    chosen."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="resolva-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -14,7 +14,9 @@ The benchmark's index goes to every executor in blocks of at most ``BLOCK_BYTES`
 matched block after block, each pass adding to the hits that the rows carry. Documents are never shuffled.
 
 Null and empty texts have no words and no hits; a null or empty item has no window. Items of one id count once; a null
-item_id is the empty string. Repeated rows get the same answer each. An empty benchmark hits nothing.
+item_id is the empty string. Repeated rows get the same answer each. An empty benchmark hits nothing, an empty table of
+documents gives an empty result. Other columns of documents may have any names and are kept. Long and repetitive texts are
+read whole; of the meetings of one diagonal only the first of each run is extended.
 """
 
 from __future__ import annotations
@@ -133,6 +135,11 @@ class Index:
         for i in range(size):
             same &= ids[p + i] == self.ids[q + i]
         p, q = p[same], q[same]
+        # meetings on one diagonal that touch lie in one shared span: the first of them is enough
+        order = np.lexsort((p, p - q))
+        p, q = p[order], q[order]
+        fresh = np.r_[True, (np.diff(p - q) != 0) | (np.diff(p) > size)] if len(p) else np.empty(0, bool)
+        p, q = p[fresh], q[fresh]
         left, right = np.zeros(len(p), np.int64), np.full(len(p), size)
         if least > size:
             for side, step in ((left, -1), (right, 1)):

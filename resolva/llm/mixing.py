@@ -13,13 +13,15 @@ line falls; only the documents of that one slot are put in order. So a source wi
 The last document before the line is the one that leaves the sum nearest to the target, so a source is off by half a
 document at most. Null and empty texts have size 0 and take 0 words; a null source is a source; repeated rows are mixed
 each for itself, in the order of a second hash; an empty table gives an empty result. With no word at all, targets are 0.
+Texts are counted whole, whatever their length. No row is taken more often than the epochs say, those without a word included.
+Columns beyond doc_id, text and source may have any names and are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stage
+from .common import free_name, stage
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -63,13 +65,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     ranged = slots.withColumn("start", start)
     same = ranged["source"].eqNullSafe(goal["source"])
     ranged = ranged.join(goal, same).select(ranged["source"].alias("s"), F.col("slot").alias("k"), "start", "slot_size", "source_size", "target", "whole", "part")
-    plan = ranged.withColumn("inside", F.when(F.col("start") + F.col("slot_size") <= F.col("part"), F.lit(1)).when(F.col("start") >= F.col("part"), F.lit(0)).otherwise(F.lit(2)))
+    plan = ranged.withColumn("inside", F.when((F.col("part") > 0) & (F.col("start") + F.col("slot_size") <= F.col("part")), F.lit(1)).when(F.col("start") >= F.col("part"), F.lit(0)).otherwise(F.lit(2)))
     placed = marked.join(plan, marked["source"].eqNullSafe(plan["s"]) & (marked["slot"] == plan["k"])).drop("s", "k", "slot", "slot_size")
     order = Window.partitionBy("source").orderBy("u", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where("inside = 2").withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     edge = edge.withColumn("extra", (F.col("before") + F.col("size") / 2 <= F.col("part")).cast("int")).drop("before")
     sure = placed.where("inside < 2").withColumn("extra", F.col("inside").cast("int"))
-    return sure.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra")).drop("u", "start", "whole", "part", "inside", "extra")
+    return sure.unionByName(edge).withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(int(-(-epochs // 1))))).drop("u", "start", "whole", "part", "inside", "extra")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -78,12 +80,18 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
-    """Each row as often as the mix takes it, with the columns of ``docs``; equal rows (doc_id and text) are mixed as one document."""
-    once = measured(docs).distinct()
-    copies = mix(once).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie"), F.col("source").alias("m_source"), "copies")
-    same = docs["doc_id"].eqNullSafe(copies["m_id"]) & (F.xxhash64(docs["text"]) == copies["m_tie"]) & docs["source"].eqNullSafe(copies["m_source"])
-    columns = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    return docs.join(copies, same).select(columns.alias("row"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("n")).select("row.*")
+    """Each row as often as the mix takes it, with the columns of ``docs``. Rows of one doc_id, text and source are mixed each for
+    itself; which of them stands how often is then told by their number, as nothing else tells them apart."""
+    keys = ["doc_id", "tie", "source"]
+    mixed = mix(measured(docs)).groupBy(*keys).agg(F.sum("copies").alias("total"), F.count("*").alias("alike")).where("total > 0")
+    m_id, m_tie, m_source, total, alike, tie, k, n = names = [free_name(docs, f"mix_{c}") for c in ("id", "tie", "source", "total", "alike", "hash", "k", "n")]
+    taken = mixed.select(*[F.col(c).alias(name) for c, name in zip([*keys, "total", "alike"], names)])
+    same = F.col("doc_id").eqNullSafe(F.col(m_id)) & (F.col(tie) == F.col(m_tie)) & F.col("source").eqNullSafe(F.col(m_source))
+    met = docs.withColumn(tie, F.xxhash64("text")).join(taken, same)
+    lone, more = met.where(F.col(alike) == 1).withColumn(k, F.lit(1)), met.where(F.col(alike) > 1)
+    numbered = lone.unionByName(more.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", tie, "source").orderBy(F.lit(0)))))
+    copies = F.floor(F.col(total) / F.col(alike)) + (F.col(k) <= F.col(total) % F.col(alike)).cast("int")
+    return numbered.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(documents: DataFrame) -> DataFrame:

@@ -11,7 +11,12 @@ of blocks and no link can be missed (with more fingerprints, RADIUS + 3 blocks a
 children are keyed by their distance to the parent and a search follows only edges within the radius. The trees together
 are as large as the corpus, so no tree is sent to all executors: the shuffle sends each tree to the one task that holds
 its queries. A search reports one link per group of what it finds, not all pairs: the shard keeps a union-find and emits
-a link only when it joins two groups. Components come from a distributed union-find over those links.
+a link only when it joins two groups. Components come from a distributed union-find over those links. Shards of two are compared
+without a tree, and nodes of up to ``LEAF`` values are compared whole, so on corpora with few near copies most links come from
+the blocks and a direct comparison; edges are followed in shards of more values.
+
+A null doc_id is no component_id: a component has the smallest that is not null, or null. Repeated rows share a fingerprint.
+Long texts are read whole. An empty table gives an empty result. Columns other than doc_id and text may have any names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ SEED = 42
 #: Up to so many distinct fingerprints a shard key is a pair of blocks, beyond it a triple.
 TRIPLES_FROM = 1 << 27
 #: Values in a leaf of a tree.
-LEAF = 32
+LEAF = 4
 LANES = np.uint64(0x0101010101010101)
 
 

@@ -270,6 +270,36 @@ def test_mixing(spark, sf, odd, none):
     assert mixing.query(none).count() == 0
 
 
+def test_no_row_beyond_the_epochs_and_clashing_names(spark):
+    rows = [(i, "a b c" if i % 4 == 0 else "", "x") for i in range(40)] + [(100 + i, "w " * 400, "y") for i in range(5)]
+    rows += [(70, "one two", "x"), (70, "one two", "x"), (None, None, None), (None, "q r s", None)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "z") for r in rows], "doc_id long, text string, source string, copies long, mix_k long, Total long, size string")
+    times = Counter(r.doc_id for r in mixing.repeat_rows(df).collect())
+    per = Counter(i for i, _, _ in rows)
+    assert all(times[i] <= 2 * per[i] for i in per) and mixing.repeat_rows(df).columns == df.columns
+    want = Counter()
+    for r in mixing.query(df).collect():
+        want[r.doc_id] += r.taken
+    size = {i: len((t or "").split()) for i, t, _ in rows if i is not None}
+    assert all(times[i] * size[i] == want[i] for i in size)
+
+
+def test_repetitive_texts_do_not_hang():
+    index = decontaminate.Index([("1", "word " * 800), ("2", "a b c d e f g h i j k " * 40)])
+    texts = [b"word " * 8000, b"x " + b"word " * 10 + b"y", b"word " * 9, b"a b c d e f g h i j k " * 400]
+    got = [(n, 0 if hit is None else int(hit.sum()), items) for n, hit, items in decontaminate.scan(texts, index)]
+    assert got == [(8000, 8000, ["1"]), (12, 10, ["1"]), (9, 0, []), (4400, 4400, ["2"])]
+
+
+def test_stages_on_odd_tables(spark, small, odd, none):
+    clash = odd.withColumnsRenamed({"n_words": "copies", "Found": "going_rid", "u": "mix_n"}).unionByName(odd.withColumnsRenamed({"n_words": "copies", "Found": "going_rid", "u": "mix_n"}))
+    for df in (clash, none):
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            assert f(spark, df, small).columns == df.columns, name
+            assert f(spark, df, small).count() <= 2 * df.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, df, small).count() == df.count()
+
+
 def test_pipeline(spark, small):
     docs = table(spark, small, "documents")
     names = docs.columns
