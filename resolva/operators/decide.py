@@ -75,9 +75,12 @@ def close_race_gate(scored: DataFrame, match: float = Policy.match) -> DataFrame
 
 def singleton_features(scored: DataFrame) -> DataFrame:
     """One row per entity: what its candidate list looks like. ``scored``: sid, tid, score, jaccard, number, addr."""
-    # moments of exact decimals: the same whatever the order of rows
+    # the deviation from sums of whole billionths: the same whatever the order of rows
+    n, i = F.count("*").cast("decimal(12,0)"), F.round(F.col("score") * 1_000_000_000).cast("long")
+    exact = n * F.sum((i * i).cast("decimal(19,0)")).cast("decimal(24,0)") - F.sum(i).cast("decimal(18,0)") * F.sum(i).cast("decimal(18,0)")
+    spread = F.sqrt(exact.cast("double")) / F.count("*") / 1_000_000_000.0
     return scored.groupBy("sid").agg(
-        F.max("score").alias("top"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread"),
+        F.max("score").alias("top"), F.avg("score").alias("mean"), spread.alias("spread"),
         (F.max("score") - F.coalesce(F.try_element_at(F.sort_array(F.collect_list("score"), False), F.lit(2)), F.lit(0.0))).alias("margin"),
         F.count("*").alias("n"), F.count(F.when(F.col("score") >= 0.3, 1)).alias("n_30"), F.count(F.when(F.col("score") >= 0.4, 1)).alias("n_40"),
         F.max("jaccard").alias("max_jaccard"), F.avg("jaccard").alias("mean_jaccard"), F.max("number").alias("max_number"), F.max("addr").alias("max_addr"), F.avg("addr").alias("mean_addr"),

@@ -109,8 +109,11 @@ def consensus(pairs: DataFrame, targets: DataFrame) -> DataFrame:
 def context(pairs: DataFrame, entities: DataFrame, targets: DataFrame, score: str | None = None) -> DataFrame:
     """(sid, tid, CONTEXT): candidates of the entity, claimants of the target, the target's margin, house number support."""
     s, t = Window.partitionBy("sid"), Window.partitionBy("tid")
-    top = F.sort_array(F.collect_list(score).over(t), False) if score else None
-    margin = F.when(F.size(top) >= 2, F.element_at(top, 1) - F.try_element_at(top, F.lit(2))).otherwise(F.element_at(top, 1)) if score else F.lit(0.0)
+    margin = F.lit(0.0)
+    if score:  # the best and the second score of a target, however many claim it
+        pairs = pairs.withColumn("claim_", F.row_number().over(t.orderBy(F.col(score).desc(), "sid")))
+        best, second = (F.max(F.when(F.col("claim_") == k, F.col(score))).over(t) for k in (1, 2))
+        margin = best - F.coalesce(second, F.lit(0.0))
     counted = pairs.select("sid", "tid", F.count("*").over(s).cast("double").alias("density"), F.count("*").over(t).cast("double").alias("competition"), margin.cast("double").alias("target_margin"))
     nums = counted.join(entities.select(F.col("id").alias("sid"), F.col("a_num").alias("x")), "sid").join(targets.select(F.col("id").alias("tid"), F.col("a_num").alias("y")), "tid")
     return nums.select("sid", "tid", "density", flag(F.col("density") == 1).alias("single_candidate"), "competition", flag(F.col("competition") == 1).alias("single_claimant"), "target_margin", flag((F.col("x") != "") & (F.col("x") == F.col("y"))).alias("house_support"))

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import metrics
 
@@ -53,12 +53,16 @@ class Matcher:
         return dict(zip(names, map(float, values)))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The fitted stages, and beside them the constant of a model that has seen one label only."""
+        spark = SparkSession.getActiveSession()
+        (self.model or PipelineModel([])).write().overwrite().save(f"{path}/stages")
+        spark.createDataFrame([(json.dumps(self.constant),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/constant")
 
     @staticmethod
     def load(path: str, learner: str = "gbt") -> Matcher:
         out = Matcher(learner)
-        out.model = PipelineModel.load(path)
+        out.constant = json.loads(SparkSession.getActiveSession().read.text(f"{path}/constant").first()[0])
+        out.model = PipelineModel.load(f"{path}/stages") if out.constant is None else None
         return out
 
 

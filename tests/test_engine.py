@@ -40,3 +40,14 @@ def test_fit_match_save(spark, tmp_path):
     assert again == got
     with pytest.raises(ValueError):
         EngineConfig.from_json('{"unknown": 1}')
+
+
+def test_models_are_saved_with_one_label_and_with_two(spark, tmp_path):
+    from resolva.operators.models import Matcher
+
+    rows = [(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(60)]
+    for k, df in enumerate((spark.createDataFrame(rows, "x double, y double, label int"), spark.createDataFrame([(1.0, 2.0, 1)] * 5, "x double, y double, label int"))):
+        model = Matcher("logistic").fit(df, ["x", "y"])
+        model.save(f"file://{tmp_path}/m{k}")
+        back = Matcher.load(f"file://{tmp_path}/m{k}", "logistic")
+        assert [r.score for r in model.score(df).collect()] == [r.score for r in back.score(df).collect()]
