@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import free_name, stage, text_bytes
 from .components import connected_components
@@ -39,6 +39,8 @@ SEED = 42
 TRIPLES_FROM = 1 << 27
 #: Values in a leaf of a tree.
 LEAF = 4
+#: Parts in which a component is joined with its smallest doc_id.
+SALT = 16
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -184,13 +186,27 @@ def components(marked: DataFrame, fp: str = "fp") -> DataFrame:
     return connected_components(links(marked.select(F.col(fp).alias("fp")).distinct()), "simhash")
 
 
+def rooted(marked: DataFrame, value: Column) -> DataFrame:
+    """``marked`` (fp, ...) -> (fp, least, root, linked), staged: an aggregate of each fingerprint's rows, its root, and whether
+    it is linked with another one."""
+    least = marked.groupBy("fp").agg(value.alias("least"))
+    found = components(marked)
+    ends = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    joined = least.join(ends, least.fp == F.col("node"), "left")
+    return stage(joined.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")), "simhash-roots")[0]
+
+
 def classes(marked: DataFrame) -> DataFrame:
-    """``marked`` (doc_id, fp) -> (fp, component_id): the smallest doc_id of all linked fingerprints; null if none has one."""
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(components(marked), least.fp == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = stage(rooted, "simhash-roots")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(lowest, "root").select("fp", "component_id", "root")
+    """``marked`` (doc_id, fp) -> (fp, component_id): the smallest doc_id of all linked fingerprints; null if none has one.
+
+    Lone fingerprints need no join; a component is met in ``SALT`` parts, so a large one is not one task's.
+    """
+    found = rooted(marked, F.min("doc_id"))
+    linked = found.where("linked").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int"))
+    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    lowest = lowest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    alone = found.where("not linked").select("fp", F.col("least").alias("component_id"))
+    return alone.unionByName(linked.join(lowest, ["root", "salt"]).select("fp", "component_id"))
 
 
 def keep_one(df: DataFrame) -> DataFrame:
@@ -198,9 +214,8 @@ def keep_one(df: DataFrame) -> DataFrame:
     names = df.columns
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
     marked, _ = stage(fingerprints(df.select("doc_id", "text", text_hash.alias("th")), "fp", ["doc_id", "th"]), "simhash")
-    group = classes(marked).select("fp", "root")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    kept = marked.join(group, "fp").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("k_id"), F.col("r.th").alias("k_th"))
+    kept = rooted(marked, F.min(rank)).groupBy("root").agg(F.min("least").alias("r")).select(F.col("r.doc_id").alias("k_id"), F.col("r.th").alias("k_th"))
     th, rn = free_name(df, "th"), free_name(df, "rn")
     hashed = df.withColumn(th, text_hash)
     same = hashed["doc_id"].eqNullSafe(kept["k_id"]) & (hashed[th] == kept["k_th"])
