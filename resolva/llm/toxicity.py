@@ -10,7 +10,8 @@ a seeded hash, a bounded and documented sample; one in four of them is set aside
 mapped (one monotone line on the logit) so that ``CUT`` is the best common threshold, and a threshold of its own is found
 for each language. Language, source and doc_id are no inputs of a score; the language threshold only gives ``flagged``.
 
-Null and empty texts have no words: they get the score of the bias alone, below the cut. Texts are scored whole. Repeated
+Null and empty texts have no words: they get the score of the last layer's bias alone, whatever side of the cut that is.
+A text's score depends on no other row. Texts are scored whole. Repeated
 rows score alike. Without a labelled row of either kind all scores are 0. An empty table gives an empty result.
 """
 
@@ -86,14 +87,17 @@ def start(texts: list[np.ndarray], y: np.ndarray, size: int, rng: np.random.Gene
 
 def pooled(p: Params, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest outputs of all filters over each text, and where. ``ids``: texts one after the other, each followed by
-    max(WIDTHS) - 1 pads, from ``first`` on; an empty text is pads only."""
+    max(WIDTHS) - 1 pads, from ``first`` on; an empty text is pads only. Windows begin at words: those that begin at a pad
+    would reach into the next text and count as 0."""
     pad = max(WIDTHS) - 1
+    pads = np.concatenate([np.r_[first[1:], len(ids)] - 1 - i for i in range(pad)])
     x = p["embed"][ids]
     best, where = [], []
     for w in WIDTHS:
         m = len(ids) - pad
         flat = sum(x[i : i + m] @ p[f"filter{w}"][i] for i in range(w)) + p[f"bias{w}"]
         flat = np.maximum(np.concatenate([flat, np.zeros((pad, FILTERS), np.float32)]), 0)
+        flat[pads] = 0
         top = np.maximum.reduceat(flat, first, axis=0)
         best.append(top)
         where.append(flat)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -155,7 +156,53 @@ def test_toxicity_odd_rows(spark):
 
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_empty_texts_are_pooled_to_zero(n):
-    import numpy as np
-
     params = toxicity.start([np.array([1, 2]), np.array([3])], np.array([1.0, 0.0]), 10, np.random.default_rng(0))
     assert toxicity.logits(params, [np.zeros(0, np.int64)] * n).shape == (n,)
+
+
+def slow_logit(p, ids):
+    """The network word by word: pads of zeros after the text, filters slid over it, largest outputs, one logistic layer."""
+    pad = max(toxicity.WIDTHS) - 1
+    words = [p["embed"][i].astype(float) for i in [*ids, *[0] * pad]]
+    best = []
+    for w in toxicity.WIDTHS:
+        outputs = [[0.0] * toxicity.FILTERS]
+        for begin in range(len(ids)):
+            outputs.append([float(p[f"bias{w}"][f]) + sum(float(words[begin + i] @ p[f"filter{w}"][i][:, f]) for i in range(w)) for f in range(toxicity.FILTERS)])
+        best += [max(o[f] for o in outputs) for f in range(toxicity.FILTERS)]
+    return sum(a * float(b) for a, b in zip(best, p["out"])) + float(p["out_bias"][0])
+
+
+def test_toxicity_network_against_plain_loops():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 30, n) for n in (0, 1, 2, 3, 7, 40, 200)]
+    y = np.array([0, 1, 0, 1, 1, 0, 1], np.float32)
+    p = toxicity.start(texts, y, 30, rng)
+    for w in toxicity.WIDTHS:
+        p[f"bias{w}"] = rng.normal(0, 0.2, toxicity.FILTERS).astype(np.float32)
+    got = toxicity.logits(p, texts)
+    for one, ids in zip(got, texts):
+        assert one == pytest.approx(slow_logit(p, ids), abs=1e-4)
+
+
+def test_toxicity_training_lowers_the_loss_on_texts_set_aside():
+    rng = np.random.default_rng(6)
+    texts = [np.r_[rng.integers(3, 60, 12), [1 if i % 2 else 2], rng.integers(3, 60, 9)] for i in range(200)]
+    y = np.array([i % 2 for i in range(200)], np.float32)
+    judge = texts[150:], y[150:]
+    before = toxicity.loss(toxicity.start(texts[:150], y[:150], 60, np.random.default_rng(toxicity.SEED)), *judge)
+    after = toxicity.loss(toxicity.train(texts[:150], y[:150], 60, judge), *judge)
+    assert after < 0.5 * before and after < 0.4
+
+
+def test_toxicity_clashing_names_and_long_texts(spark):
+    rows = [(i, ("you idiot scum " if i % 2 else "a fine day today ") * 3, "en", 0.5, 1, "x") for i in range(60)]
+    rows += [(70, "a fine day today " * 60_000, "en", 0.5, 1, "x"), (71, "a fine day today " * 30_000 + "you idiot scum", "en", 0.5, 1, "x"), (3, rows[3][1], "en", 0.5, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, label int, l_id string")
+    labels = spark.createDataFrame([(i, i % 2, "y") for i in range(60)], "doc_id long, toxic int, text string")
+    got = {}
+    for r in toxicity.query(df, labels).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got[3]) == 2 and got[3][0] == got[3][1]
+    # nothing of a long text goes unread: its last words decide
+    assert got[70][0].predicted == 0 and got[71][0].predicted == 1
