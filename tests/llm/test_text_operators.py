@@ -310,3 +310,47 @@ def test_pipeline(spark, small):
     assert docs.count() > 0
     ran = corpus_pipeline.run(spark, small)
     assert ran.count() == docs.count()
+
+
+def passes_all_rules(text):
+    n, chars, symbols, dup_lines, _, base_failed = brute_quality(text)
+    n_lines = len([x for x in text.split("\n") if SPACED.search(x)])
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    return not (base_failed or 10 * symbols > n or 2 * dup_lines > n_lines or chars < 2 * n or chars > 12 * n or (upper > lower and upper >= 20))
+
+
+def test_pipeline_against_brute_force(spark, small):
+    docs = {r.doc_id: r for r in table(spark, small, "documents").collect()}
+    left = sorted(i for i, r in docs.items() if passes_all_rules(r.text or ""))
+    prints = np.array([brute_fingerprint(docs[i].text) for i in left], np.uint64)
+    root = roots(len(left), [(a, b) for a in range(len(left)) for b in range(a) if int(prints[a] ^ prints[b]).bit_count() <= 4])
+    left = [i for k, i in enumerate(left) if root[k] == k]
+    windows = set()
+    for r in table(spark, small, "benchmark").collect():
+        w = WORD.findall((r.text or "").translate(LOW))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}
+    words = {i: WORD.findall((docs[i].text or "").translate(LOW)) for i in left}
+    clean = [i for i in left if not any(tuple(words[i][k : k + n]) in windows for n in {len(w) for w in windows} for k in range(len(words[i]) - n + 1))]
+    assert 0 < len(clean) < len(left) < len(docs)
+    size = {i: len(SPACED.findall(docs[i].text)) for i in clean}
+    sizes, largest = Counter(), Counter()
+    for i in clean:
+        sizes[docs[i].source] += size[i]
+        largest[docs[i].source] = max(largest[docs[i].source], size[i])
+    goal = water_fill(sizes)
+    got = sorted(corpus_pipeline.run(spark, small).collect(), key=lambda r: r.start)
+    times = Counter(r.doc_id for r in got)
+    assert set(times) <= set(clean)
+    taken = Counter()
+    for i in clean:
+        source = docs[i].source
+        whole = int(goal[source] / sizes[source] + 1e-9)
+        assert whole <= times[i] <= min(2, whole + 1)
+        taken[source] += times[i] * size[i]
+    assert all(abs(taken[s] - goal[s]) <= largest[s] / 2 + 1 for s in goal)
+    library, at = bpe.Encoder(bpe.tokenizer_path()).library, 0
+    for r in got:
+        ids = np.array([*library.encode(docs[r.doc_id].text, add_special_tokens=False).ids, 1], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)
