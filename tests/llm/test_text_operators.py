@@ -184,6 +184,15 @@ def test_token_counts(spark, sf, odd, none):
     assert token_counts.query(none).count() == 0
 
 
+def test_counts_do_not_depend_on_the_sample(spark, odd, monkeypatch):
+    columns = ("n_bytes", "n_tokens", "over_limit")
+    want = by_id(token_counts.query(odd), *columns)
+    sample = token_counts.frequent_words
+    for other in (lambda docs, path: (b"", []), lambda docs, path: sample(docs.limit(1), path), lambda docs, path: sample(docs, path, 10**9)):
+        monkeypatch.setattr(token_counts, "frequent_words", other)
+        assert by_id(token_counts.query(odd), *columns) == want
+
+
 def test_words_alone_give_the_ids_of_the_text(monkeypatch):
     coder = bpe.Encoder(bpe.tokenizer_path())
     texts = ["", " ", "a<|endoftext|>b <|startoftext|>", "x <|ENDOFTEXT|> y", "İstanbul ĲǅÀ", "don't we'll ''s 'S é ²½ x y\x85z\x1c q​w", "日本語 ﬁ", "é J̌ a b", "5. 5.5, ..., .a é, é!", "ŉ ǰ ß ſ ª º Ⱥ", "ΑΣ ΑΣ."]
